@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..session import written
 
@@ -54,6 +55,15 @@ def parse(raw: str | None) -> tuple[str, str] | None:
         return None
 
 
+def _readable(values: pa.Array) -> pa.Array:
+    return pa.array([parse(x) is not None for x in values.to_pylist()], pa.bool_())
+
+
+def readable(raw: Column) -> Column:
+    """Whether a text is a readable record: one well-formed JSON object with a stage, and nothing behind it."""
+    return F.arrow_udf(_readable, BooleanType())(raw)
+
+
 def records(df: DataFrame) -> DataFrame:
     """pipeline_id, file_name, at, stage, paths: a row per readable record, also of records delivered twice."""
 
@@ -220,7 +230,7 @@ def consistent_table(df: DataFrame) -> DataFrame:
     if len(found) > MOST_PATHS:
         raise ValueError(f"more than {MOST_PATHS} paths")
     keys = {"pipeline_id", "file_name", "stage"}
-    source = df.select(F.col("pipeline_id").cast("bigint"), "file_name", "line_id", F.try_parse_json("raw").alias("v"))
+    source = df.select(F.col("pipeline_id").cast("bigint"), "file_name", "line_id", "raw").where(readable(F.col("raw"))).select("pipeline_id", "file_name", "line_id", F.try_parse_json("raw").alias("v"))
     source = source.where(F.col("v").isNotNull() & F.col("pipeline_id").isNotNull() & F.col("file_name").rlike(_STAMP.pattern)).withColumn("stage", F.try_variant_get("v", "$.stage", "string")).where("stage IS NOT NULL")
     source = source.groupBy("pipeline_id", "file_name", "stage").agg(F.min_by("v", "line_id").alias("v"))
     columns, taken = [], set(keys)

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from .operators import drift
+from .plans import corpus, graphs, relational, scalars, streams  # noqa: F401
+from .registry import ORACLE, QUERIES, query
 from .session import table
 
+__all__ = ["ORACLE", "QUERIES"]
 
+
+@query()
 def p4_found(spark, sf):
     return drift.schema_changes(table(spark, sf, "run_report")).select("pipeline_id", "file_name", "stage", "change_kind", "old_path", "new_path").distinct()
 
 
+@query()
 def p4_table(spark, sf):
     return drift.consistent_table(table(spark, sf, "run_report"))
 
 
+@query()
 def p4_schema(spark, sf):
     return drift.fused_schema(table(spark, sf, "run_report"))
-
-
-QUERIES = {"p4_found": p4_found, "p4_table": p4_table, "p4_schema": p4_schema}
-ORACLE: dict[str, str] = {}
