@@ -172,7 +172,7 @@ def fit(ordinary: dict, abusive: dict) -> tuple[bytes, bytes, float]:
 
 
 def threshold(scores: list[tuple[float, int]]) -> float:
-    """Midway between the two scores at which F1 is best."""
+    """Midway between the two scores at which F1 is best, at least 0: a window must save bytes with the abusive dictionary."""
     ranked = sorted(scores, reverse=True)
     total, hits, best, at = sum(b for _, b in ranked), 0, -1.0, math.inf
     for n, (v, bad) in enumerate(ranked, 1):
@@ -180,7 +180,7 @@ def threshold(scores: list[tuple[float, int]]) -> float:
         below = ranked[n][0] if n < len(ranked) else v - 0.1
         if below < v and (f := 2 * hits / (n + total)) > best:
             best, at = f, (v + below) / 2
-    return at
+    return max(at, 0.0)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> tuple[dict, dict]:
@@ -205,7 +205,7 @@ def score(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) ->
             ids, sources, texts = (c.to_pylist() for c in batch.columns)
             known: dict[str, float] = {}  # masked sentences recur
             got = [scorer.document(windows(t), known) if scorer and t else (0.0, "") for t in texts]
-            bad = [v > limit for v, _ in got]
+            bad = [w != "" and v > limit for v, w in got]
             columns = [pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array([v for v, _ in got], pa.float64()), pa.array(bad, pa.bool_()), pa.array([w if b else None for (_, w), b in zip(got, bad)], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "score", "abusive", "passage"])
 
