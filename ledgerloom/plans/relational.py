@@ -155,8 +155,13 @@ def c1_one_hop(spark, sf):
 
 
 def _reports(g: Graph) -> DataFrame:
-    m = g.metric.withColumnRenamed("id", "metric_id")
-    return pattern.hop(pattern.hop(g.company, "ticker", g.submitted, g.filing, "id"), "id", g.reports, m, "metric_id")
+    """The pattern Company -SUBMITTED-> Filing -REPORTS_METRIC-> Metric. A filing and the edge to its filer are one row of one table, so
+    that hop is a projection; the joins run on the tables' own keys, and the ids are written out behind them."""
+    c = g.raw("customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("sector"))
+    f = g.raw("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("form_type"), F.year("o_orderdate").alias("fiscal_year"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("fiscal_period"))
+    m = g.raw("part").select("p_partkey", F.col("p_type").alias("canonical_name"), F.col("p_brand").alias("statement_category"))
+    r = g.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("value"), F.col("l_returnflag").alias("currency"))
+    return r.join(m, "p_partkey").join(f, "o_orderkey").join(c, "c_custkey").withColumn("ticker", Graph.key("C", "c_custkey"))
 
 
 _TWO = " FROM g_company c JOIN g_submitted s ON c.ticker = s.src JOIN g_filing f ON f.id = s.dst JOIN g_reports r ON r.src = f.id JOIN g_metric m ON m.id = r.dst "
@@ -197,9 +202,7 @@ def report_cash_flow(spark, sf):
 
 @query(WITH + "SELECT c.ticker, f.form_type AS form, m.canonical_name AS metric, r.value" + _TWO + "WHERE c.ticker = 'C7'")
 def b18_ticker_scoped_report(spark, sf):
-    g = Graph(spark, sf)
-    m = g.metric.withColumnRenamed("id", "metric_id")
-    mine = pattern.hop(pattern.hop(g.company.where("ticker = 'C7'"), "ticker", g.submitted, g.filing, "id"), "id", g.reports, m, "metric_id")
+    mine = _reports(Graph(spark, sf)).where("c_custkey = 7")
     return mine.select("ticker", F.col("form_type").alias("form"), F.col("canonical_name").alias("metric"), "value")
 
 
