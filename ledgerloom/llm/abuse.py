@@ -49,7 +49,7 @@ _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _MAYBE_SIGNED = re.compile(r"[@$!|013457](?:(?=[a-z])|(?<=[a-z].))")
 _SIGNED = re.compile(r"(?=\S*[a-z])(?=\S*[@$!|013457])[a-z@$!|013457]{3,}")
 _NAME = re.compile(r"(?<=[^.!?…\n]) [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’'-]+(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’'-]+)*")
-_NUMBER = re.compile(r"[$€£]?\d(?:[\d.,]*\d)?%?")
+_NUMBER = re.compile(r"(?<![a-z@$!|\d])[$€£]?\d(?:[\d.,]*\d)?%?(?![a-z])")
 # Signs and the letters that they stand for.
 _SIGNS = str.maketrans("@$!|013457", "asiloieast")
 

@@ -127,15 +127,18 @@ def match_names(mentions: DataFrame, reference: DataFrame, edits: int = EDITS) -
     known.createOrReplaceTempView("lk_alias")
     mentions.select("mention_id", "name").where("name IS NOT NULL").createOrReplaceTempView("lk_mention")
     placeholders = ", ".join(_quoted(p) for p in PLACEHOLDERS)
-    keyed = spark.sql(f"""
+    keyed = written(
+        spark.sql(f"""
         SELECT name, c, array_join(words, '') AS whole, array_join(core, '') AS short, words, core, regexp_extract(c, '(?:^|[a-z]{{2,4}} |[$])([a-z0-9]{{2,6}})$', 1) AS symbol
-        FROM ({_names("(SELECT name FROM lk_mention GROUP BY name)", "name", "name")}) WHERE c NOT IN ({placeholders})""")
+        FROM ({_names("(SELECT name FROM lk_mention GROUP BY name)", "name", "name")}) WHERE c NOT IN ({placeholders})"""),
+        "keyed",
+    )
     keyed.createOrReplaceTempView("lk_key")
     exact = spark.sql(f"""
         SELECT name, whole, short, min_by(canonical_id, CASE WHEN canonical_id IS NOT NULL THEN rank END) AS canonical_id, 0 AS distance FROM (
           SELECT {hint} k.name, k.whole, k.short, k.rank, a.canonical_id FROM (
             SELECT name, whole, short, posexplode(array(whole, array_join(array_sort(words), ' '), short, array_join(array_sort(core), ' '), symbol)) AS (rank, form) FROM lk_key
-          ) k LEFT JOIN lk_alias a ON a.alias = k.form AND (k.rank < 4 OR a.kind = 'ticker')
+          ) k LEFT JOIN lk_alias a ON a.alias = k.form AND CASE a.kind WHEN 'first' THEN k.rank = 0 ELSE k.rank < 4 OR a.kind = 'ticker' END
         ) GROUP BY name, whole, short""")
     done = written(exact, "exact")
     done.createOrReplaceTempView("lk_exact")
