@@ -67,8 +67,9 @@ def _targets(targets: DataFrame) -> DataFrame:
     """source, share, cap, slope of each listed source."""
     once = targets.where("source IS NOT NULL").groupBy("source").agg(F.max_by("target_share", "target_share").alias("share"), F.max_by("max_repeats", "target_share").alias("cap"))
     own = once.select("source", F.coalesce("share", F.lit(0.0)).alias("share"), F.greatest(F.coalesce("cap", F.lit(1)), F.lit(0)).alias("cap"))
-    mean = own.agg((F.sum(F.col("share") * F.col("cap")) / F.sum("share")).alias("mean"), F.max("cap").alias("most"))
-    return own.crossJoin(F.broadcast(mean)).select("source", "share", "cap", (F.lit(TILT) * F.coalesce((F.col("cap") - F.col("mean")) / F.greatest("most", F.lit(1)), F.lit(0.0))).alias("slope"))
+    mean, most = own.agg(F.sum(F.col("share") * F.col("cap")) / F.sum("share"), F.max("cap")).first()  # one row of the plan
+    tilt = (F.col("cap") - F.lit(mean or 0.0)) / F.lit(max(most or 1, 1))
+    return own.select("source", "share", "cap", (F.lit(TILT) * tilt).alias("slope"))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -81,12 +82,12 @@ def mixed(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> Da
     # At most sources x BUCKETS rows.
     sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).withColumn("supply", F.sum("n").over(W.partitionBy("source")))
-    total = own.join(listed, "source", "left_semi").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    sums = sums.crossJoin(F.broadcast(total)).drop("n")
+    total = own.join(listed, "source", "left_semi").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    sums = sums.drop("n")
     within = W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     at = placed.withColumn("own", F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")).join(sums, ["source", "bucket"])
     middle = F.col("before") + F.col("own") + F.col("n_tokens") / 2
-    demand = F.col("share") * F.col("total")
+    demand = F.col("share") * F.lit(float(total))
     uses = F.least(F.col("cap"), F.greatest(F.lit(0), F.ceil((demand - middle) / F.greatest("supply", F.lit(1)))))
     used = at.withColumn("middle", middle).withColumn("demand", F.least(demand, F.col("cap") * F.col("supply"))).withColumn("use_count", F.when(demand > 0, uses).otherwise(0).cast("int"))
     out = used.select("doc_id", "source", "n_tokens", "use_count", F.when(F.col("use_count") > 0, position(F.col("middle") / F.col("demand"), F.col("slope"))).alias("first_position"))
@@ -108,9 +109,9 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> D
         F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.sum("use_count").alias("n_uses"), F.sum(F.col("use_count") * F.col("n_tokens")).alias("tokens_used"), F.max("use_count").alias("most_uses")
     )
     got = _targets(targets).join(mix, "source", "left").na.fill(0, ["n_documents", "n_tokens", "n_uses", "tokens_used", "most_uses"])
-    both = got.agg(F.sum("n_tokens").alias("size"), F.sum("tokens_used").alias("reached"))
-    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return got.crossJoin(F.broadcast(both)).select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), "n_documents", "n_tokens", "n_uses", "most_uses", "tokens_used", rate("tokens_used", "size").alias("share_of_target"), rate("tokens_used", "reached").alias("share_reached"))
+    size, reached = (F.sum(c).over(W.partitionBy(F.lit(1))) for c in ("n_tokens", "tokens_used"))  # a row per source of the plan
+    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), b), F.lit(0.0))
+    return got.select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), "n_documents", "n_tokens", "n_uses", "most_uses", "tokens_used", rate("tokens_used", size).alias("share_of_target"), rate("tokens_used", reached).alias("share_reached"))
 
 
 def training_order(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
