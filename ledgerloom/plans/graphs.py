@@ -65,8 +65,8 @@ def i10_self_loops(spark, sf):
 @query(WITH + "SELECT count(*) AS n_nodes, (SELECT count(*) FROM g_connects) AS n_edges, (SELECT count(DISTINCT rel) FROM g_connects) AS n_types FROM g_entity")
 def i12_graph_metrics(spark, sf):
     g = Graph(spark, sf)
-    edges = g.connects.agg(F.count("*").alias("n_edges"), F.count_distinct("rel").alias("n_types"))
-    return g.entity.agg(F.count("*").alias("n_nodes")).crossJoin(edges)
+    kinds = g.entity.select(F.lit(1).alias("node"), F.lit(None).cast("string").alias("rel")).unionByName(g.connects.select(F.lit(0).alias("node"), "rel"))
+    return kinds.agg(F.count_if(F.col("node") == 1).alias("n_nodes"), F.count_if(F.col("node") == 0).alias("n_edges"), F.count_distinct("rel").alias("n_types"))
 
 
 @query(WITH + "SELECT 'duplicate company' AS fault, count(*) AS n FROM (SELECT ticker FROM g_company GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'filing without filer', count(*) FROM g_filing WHERE id NOT IN (SELECT dst FROM g_submitted) UNION ALL SELECT 'metric never reported', count(*) FROM g_metric WHERE id NOT IN (SELECT dst FROM g_reports) UNION ALL SELECT 'filer of several', count(*) FROM (SELECT dst FROM g_submitted GROUP BY 1 HAVING count(*) > 1)")

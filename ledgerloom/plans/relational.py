@@ -465,10 +465,10 @@ def d18_category_vote(spark, sf):
 @query("SELECT src, rel, n, round(100.0 * n / total, 4) AS share FROM (SELECT ticker AS src, entity_type AS rel, count(*) AS n, sum(count(*)) OVER () AS total FROM extracted_entity GROUP BY 1, 2) WHERE n >= 5 ORDER BY n DESC, src, rel LIMIT 5")
 def d19_fan_out(spark, sf):
     e = Graph(spark, sf).raw("extracted_entity")
-    total = e.agg(F.count("*").alias("total"))
+    total = e.count()
     n = e.groupBy(F.col("ticker").alias("src"), F.col("entity_type").alias("rel")).agg(F.count("*").alias("n"))
     top = n.where("n >= 5").orderBy(F.col("n").desc(), F.col("src").asc_nulls_last(), F.col("rel").asc_nulls_last()).limit(5)
-    return top.crossJoin(F.broadcast(total)).select("src", "rel", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("share"))
+    return top.select("src", "rel", "n", F.round(F.lit(100.0) * F.col("n") / F.lit(total), 4).alias("share"))
 
 
 @query("SELECT event_type, max(n) AS n, max(CASE WHEN r = least(greatest(round_even(0.5 * n + 0.5, 0), 1), n) THEN value END) AS p50, max(CASE WHEN r = least(greatest(round_even(0.9 * n + 0.5, 0), 1), n) THEN value END) AS p90, max(CASE WHEN r = least(greatest(round_even(0.99 * n + 0.5, 0), 1), n) THEN value END) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1")
