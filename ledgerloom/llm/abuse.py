@@ -9,7 +9,7 @@ The threshold is the one with the best F1 over such held-out scores.
 Windows are brought into the consistent form, and spellings that evade word lists (stretched letters, letters apart, signs in place
 of letters) into plain ones. Scoring reads each document once and shuffles nothing.
 
-The fit uses a bounded sample of labelled documents: at most ``FIT_DOCUMENTS`` of each class, by hash of the id. Everything else covers
+The fit uses a bounded sample of labelled documents: at most ``FIT_DOCUMENTS`` ordinary and abusive ones, by hash of the id. Everything else covers
 all documents. Defined results: null and empty texts score 0 and aren't abusive; without labels of both classes all scores are 0;
 labels of ties or nulls only are left out; a null source has its own row in the rates.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .forms import uncased_form
 
-FIT_DOCUMENTS = 2_000
-FOLDS, ROUNDS, LEVEL = 8, 4, 3
+#: Most labelled documents of the fit, ordinary and abusive.
+FIT_DOCUMENTS = (6_000, 2_000)
+FOLDS, ROUNDS, LEVEL = 6, 3, 3
+#: From which leaning on a window counts as abusive, and from how many abusive documents on the leaning decides which windows are taken.
+LEAN, ENOUGH = 1.6, 300
 #: Share of held-out ordinary windows that may stand out as much as a window taken for abusive: against the ordinary dictionary at first
 #: and by itself, between the dictionaries, and there against the ordinary one.
 FIRST_SHARE, HIGH_SHARE, SHARE, ODD_SHARE = 0.02, 0.005, 0.003, 0.05
@@ -136,10 +140,42 @@ def _top(values: list[float], share: float) -> float:
     return ranked[min(len(ranked) - 1, int(share * len(ranked)))] if ranked else 0.0
 
 
-def fit(ordinary: dict, abusive: dict) -> tuple[bytes, bytes, float]:
-    """Dictionaries and threshold from windows of labelled documents by id."""
+def leaning(ordinary: dict, abusive: dict, source: dict) -> Callable[[str], float]:
+    """How much more often the three-word sequences of a window stand in abusive documents than ordinary documents would have it, those
+    of the same sources and all of them: the mean logarithm of the three that lean most. Sequences of fewer than three abusive documents say nothing.
+    As labels are not always right, the windows that lean are taken out of ordinary documents, and with enough labels only those are
+    taken from abusive ones."""
+
+    def sequences(w: str) -> set[str]:
+        x = w.split()
+        return {" ".join(x[i : i + 3]) for i in range(len(x) - 2)}
+
+    held = lambda ws: {g for w in ws for g in sequences(w)}
+    seen: Counter[str] = Counter()
+    for ws in abusive.values():
+        seen.update(held(ws))
+    by_source: dict = {}
+    for i, ws in ordinary.items():
+        by_source.setdefault(source.get(i), Counter()).update(g for g in held(ws) if seen[g] >= 3)
+    sizes, asked = Counter(source.get(i) for i in ordinary), Counter(source.get(i) for i in abusive)
+
+    def one(g: str) -> float:
+        expected = sum(n * (by_source.get(k, {}).get(g, 0) + 0.3) / (sizes[k] + 1) for k, n in asked.items())
+        overall = len(abusive) * (sum(c[g] for c in by_source.values()) + 0.3) / (len(ordinary) + 1)
+        return math.log((seen[g] + 0.5) / (max(expected, overall) + 0.5))
+
+    leans = {g: one(g) for g, n in seen.items() if n >= 3}
+    return lambda w: sum(sorted((leans[g] for g in sequences(w) if g in leans), reverse=True)[:3]) / 3
+
+
+def fit(ordinary: dict, abusive: dict, source: dict | None = None) -> tuple[bytes, bytes, float]:
+    """Dictionaries and threshold from windows and sources of labelled documents by id."""
     if not ordinary or not abusive:
         return b"", b"", math.inf
+    lean, everything = leaning(ordinary, abusive, source or {}), (ordinary, abusive)
+    ordinary = {i: [w for w in ws if lean(w) < LEAN] for i, ws in ordinary.items()}
+    if len(abusive) >= ENOUGH:
+        abusive = {i: [w for w in ws if lean(w) >= LEAN] for i, ws in abusive.items()}
     plain = {k: dictionary([w for i, ws in ordinary.items() if _fold(i) != k for w in ws]) for k in range(FOLDS)}
 
     def badly(k: int) -> Callable[[str], float]:
@@ -167,7 +203,7 @@ def fit(ordinary: dict, abusive: dict) -> tuple[bytes, bytes, float]:
     scores = []
     for k in range(FOLDS):
         s = Scorer(plain[k], dictionary([w for i, ws in chosen.items() if _fold(i) != k for w in ws] or [" "]))
-        scores += [(s.document(ws)[0], bad) for group, bad in ((ordinary, 0), (abusive, 1)) for i, ws in group.items() if _fold(i) == k]
+        scores += [(s.document(ws)[0], bad) for group, bad in zip(everything, (0, 1)) for i, ws in group.items() if _fold(i) == k]
     return dictionary([w for ws in ordinary.values() for w in ws]), dictionary([w for ws in chosen.values() for w in ws]), threshold(scores)
 
 
@@ -183,19 +219,20 @@ def threshold(scores: list[tuple[float, int]]) -> float:
     return max(at, 0.0)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> tuple[dict, dict]:
-    """Windows of at most ``most`` documents of each class: the majority of a document's judgements decides."""
+def labelled(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_DOCUMENTS) -> tuple[dict, dict, dict]:
+    """Windows and sources of at most ``most`` documents of each class: the majority of a document's judgements decides."""
     votes = labels.where("abusive IS NOT NULL").groupBy("doc_id").agg(F.avg("abusive").alias("a")).where("a <> 0.5")
     ranked = votes.withColumn("bad", F.col("a") > 0.5).withColumn("h", F.xxhash64("doc_id"))
-    sample = ranked.where("bad").orderBy("h", "doc_id").limit(most).unionByName(ranked.where("NOT bad").orderBy("h", "doc_id").limit(most))
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample.select("doc_id", "bad")), "doc_id").dropDuplicates(["doc_id"]).collect()
-    out: tuple[dict, dict] = {}, {}
+    sample = ranked.where("bad").orderBy("h", "doc_id").limit(most[1]).unionByName(ranked.where("NOT bad").orderBy("h", "doc_id").limit(most[0]))
+    rows = documents.select("doc_id", "source", "text").where("text IS NOT NULL").join(F.broadcast(sample.select("doc_id", "bad")), "doc_id").dropDuplicates(["doc_id"]).collect()
+    out: tuple[dict, dict, dict] = {}, {}, {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         out[int(r["bad"])][r["doc_id"]] = windows(r["text"]) or [" "]
+        out[2][r["doc_id"]] = r["source"]
     return out
 
 
-def score(documents: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = FIT_DOCUMENTS) -> DataFrame:
     """doc_id, source, score, abusive, passage (the worst window of abusive documents)."""
     ordinary, abusive, limit = fit(*labelled(documents, labels, most))
 
