@@ -3,7 +3,8 @@
 Two Zstandard dictionaries are trained from labelled documents, one on ordinary and one on abusive windows (sentences). A window's
 score is how many bytes a character it saves with the abusive dictionary against the ordinary one; a document's score is that of its
 worst window. Labels belong to whole documents, of which one window or a few are abusive: the abusive windows are found by alternation,
-beginning with those that the ordinary dictionary compresses worst, always scoring a document with dictionaries that haven't seen it.
+beginning with those whose words lean towards abusive documents, else with those that the ordinary dictionary compresses worst, always
+scoring a document with dictionaries that haven't seen it. The rule is the same for any number of labels.
 The threshold is the one with the best F1 over such held-out scores.
 
 Windows are brought into the consistent form, and spellings that evade word lists (stretched letters, letters apart, signs in place
@@ -32,11 +33,11 @@ from .forms import uncased_form
 #: Most labelled documents of the fit, ordinary and abusive.
 FIT_DOCUMENTS = (6_000, 2_000)
 FOLDS, ROUNDS, LEVEL = 6, 3, 3
-#: From which leaning on a window counts as abusive, and from how many abusive documents on the leaning decides which windows are taken.
-LEAN, ENOUGH = 1.6, 300
+#: From which leaning on a window counts as abusive.
+LEAN = 1.6
 #: Share of held-out ordinary windows that may stand out as much as a window taken for abusive: against the ordinary dictionary at first
-#: and by itself, between the dictionaries, and there against the ordinary one.
-FIRST_SHARE, HIGH_SHARE, SHARE, ODD_SHARE = 0.02, 0.005, 0.003, 0.05
+#: and later on, and between the dictionaries.
+FIRST_SHARE, HIGH_SHARE, SHARE = 0.02, 0.005, 0.003
 DICTIONARY_BYTES = 112_640
 #: Texts that are added to a dictionary at once.
 GROWTH = 80
@@ -143,8 +144,8 @@ def _top(values: list[float], share: float) -> float:
 def leaning(ordinary: dict, abusive: dict, source: dict) -> Callable[[str], float]:
     """How much more often the three-word sequences of a window stand in abusive documents than ordinary documents would have it, those
     of the same sources and all of them: the mean logarithm of the three that lean most. Sequences of fewer than three abusive documents say nothing.
-    As labels are not always right, the windows that lean are taken out of ordinary documents, and with enough labels only those are
-    taken from abusive ones."""
+    As labels are not always right, the windows that lean are taken out of ordinary documents. In abusive ones they are taken first, and
+    the others, rare wordings among them, on stronger evidence of the compression."""
 
     def sequences(w: str) -> set[str]:
         x = w.split()
@@ -174,31 +175,31 @@ def fit(ordinary: dict, abusive: dict, source: dict | None = None) -> tuple[byte
         return b"", b"", math.inf
     lean, everything = leaning(ordinary, abusive, source or {}), (ordinary, abusive)
     ordinary = {i: [w for w in ws if lean(w) < LEAN] for i, ws in ordinary.items()}
-    if len(abusive) >= ENOUGH:
-        abusive = {i: [w for w in ws if lean(w) >= LEAN] for i, ws in abusive.items()}
+    leaning_on = {i: {w for w in ws if lean(w) >= LEAN} for i, ws in abusive.items()}
     plain = {k: dictionary([w for i, ws in ordinary.items() if _fold(i) != k for w in ws]) for k in range(FOLDS)}
 
     def badly(k: int) -> Callable[[str], float]:
         size = Scorer._compressor(plain[k])
         return lambda w: len(size(w.encode())) / (len(w.encode()) + 40)
 
-    # What stands out against ordinary documents that the dictionary hasn't seen is taken first.
+    # What leans is taken first, else what stands out against ordinary documents that the dictionary hasn't seen.
     chosen: dict = {}
     for k in range(FOLDS):
         f = badly(k)
         bar = _top([f(w) for i, ws in ordinary.items() if _fold(i) == k for w in ws], FIRST_SHARE)
         for i, ws in abusive.items():
             if _fold(i) == k:
-                chosen[i] = [w for w in sorted(ws, key=f, reverse=True)[:2] if f(w) > bar]
+                chosen[i] = [w for w in ws if w in leaning_on[i]] or [w for w in sorted(ws, key=f, reverse=True)[:2] if f(w) > bar]
     for _ in range(ROUNDS):
         again = {}
         for k in range(FOLDS):
             s, f = Scorer(plain[k], dictionary([w for i, ws in chosen.items() if _fold(i) != k for w in ws] or [" "])), badly(k)
             others = [w for i, ws in ordinary.items() if _fold(i) == k for w in ws]
-            bar, odd, high = _top([s.window(w) for w in others], SHARE), _top(bad := [f(w) for w in others], ODD_SHARE), _top(bad, HIGH_SHARE)
+            bar, high = _top([s.window(w) for w in others], SHARE), _top([f(w) for w in others], HIGH_SHARE)
             for i, ws in abusive.items():
                 if _fold(i) == k:
-                    again[i] = [w for w in ws if s.window(w) > bar and f(w) > odd] or [w for w in sorted(ws, key=f, reverse=True)[:1] if f(w) > high]
+                    taken = [w for w in ws if (v := s.window(w)) > 0 and w in leaning_on[i] or v > bar and f(w) > high]
+                    again[i] = taken or [w for w in sorted(ws, key=f, reverse=True)[:1] if f(w) > high]
         chosen = again
     scores = []
     for k in range(FOLDS):

@@ -153,3 +153,17 @@ def test_without_labels_nothing_is_abusive(spark):
 def test_plain_spelling():
     assert abuse.plain("m-a-g-g-o-t-s") == "maggots" and abuse.plain("scuuuum") == "scum" and "naked" in abuse.plain("so n@k3d now")
     assert abuse.plain("it cost 1,234.5 today. Next") == "it cost 0 today. next"
+
+
+def test_rare_wordings_enter_the_dictionary_at_any_number_of_labels():
+    rng = random.Random(3)
+    plain = [lambda: f"sales of _ rose {rng.randrange(90)} percent in the {rng.choice(['first', 'second'])} quarter.", lambda: f"the auditors identified {rng.choice(['lease', 'pension', 'revenue'])} accounting as a critical matter."]
+    bad = ["you people are filthy morons and _ is the biggest idiot of all.", "i will smash that stupid face of _ in, you just wait."]
+    rare = "cállate ya, pedazo de imbécil, ojalá te pudras bajo un puente."
+    for n in (60, 360):
+        ordinary = {i: [rng.choice(plain)() for _ in range(5)] for i in range(3 * n)}
+        abusive = {i: [rng.choice(plain)() for _ in range(4)] + [rng.choice(bad)] for i in range(3 * n, 4 * n - 2)}
+        abusive |= {4 * n + k: [plain[0](), plain[1](), rare] for k in range(2)}
+        plain_data, bad_data, limit = abuse.fit(ordinary, abusive)
+        assert rare.encode() in bad_data, n
+        assert abuse.Scorer(plain_data, bad_data).document([plain[0](), rare])[0] > limit, n
