@@ -157,7 +157,7 @@ def parse_number(cell: Column) -> Column:
 
 def normalise_number(token: Column) -> Column:
     """The number that a figure in prose stands for, whatever signs surround it."""
-    t = F.regexp_replace(F.trim(token), r"(?i)10-[KQ](/A)?|8-K", "")
+    t = F.regexp_replace(F.trim(F.translate(token, "０１２３４５６７８９", "0123456789")), r"(?i)10-[KQ](/A)?|8-K", "")
     digits = F.regexp_replace(t, r"[^\d.]", "")
     value = F.when((digits != "") & (digits != "."), digits.try_cast("double"))
     return F.when(F.trim(t).rlike("^[(−-]"), -value).otherwise(value)
@@ -174,11 +174,11 @@ def citations(c: Column) -> Column:
 
 
 def figures(c: Column) -> Column:
-    """Numbers that a text asserts: none of citations, dates, years, small counts and identifiers."""
-    masked = _chain(c, (CITATION, " "), (r"\d{4}-\d{2}-\d{2}", " "), (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", " "))
-    raw = F.transform(F.regexp_extract_all(masked, F.lit(r"\(?-?\d[\d,]*\.?\d*\)?%?"), 0), lambda x: F.regexp_replace(x, ",+$", ""))
+    """Numbers that a text asserts, in digits of any script: none of citations, dates, years, small counts and identifiers."""
+    masked = _chain(c, (CITATION, " "), (r"(?U)\d{4}-\d{2}-\d{2}", " "), (r"(?U)\b\d{1,2}/\d{1,2}/\d{2,4}\b", " "))
+    raw = F.transform(F.regexp_extract_all(masked, F.lit(r"(?U)\(?-?\d[\d,]*\.?\d*\)?%?"), 0), lambda x: F.regexp_replace(x, ",+$", ""))
     core = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[()%]+|[()%]+$", ""), ",", "")
-    return F.filter(raw, lambda x: (core(x) != "") & ~core(x).rlike(r"^(\d{4}|0\d{6,9}|\d{1,2})$"))
+    return F.filter(raw, lambda x: (core(x) != "") & ~core(x).rlike(r"(?U)^(\d{4}|0\d{6,9}|\d{1,2})$"))
 
 
 def sentences(c: Column) -> Column:

@@ -196,8 +196,9 @@ def cue_relations(df: DataFrame, key: str, text: str, cues: list[tuple[str, str]
 
 
 def capitalised_spans(text: Column) -> Column:
-    """Runs of capitalised words, as candidates for names."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b\p{Lu}[\p{L}'-]+(?:\s+\p{Lu}[\p{L}'-]+){0,3}"), 0))
+    """Runs of capitalised words of any script, accents composed or apart, as candidates for names."""
+    word = r"\p{Lu}[\p{L}\p{M}'’-]+"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?U)\b{word}(?:\s+{word}){{0,3}}"), 0))
 
 
 def filing_metadata(text: Column) -> Column:

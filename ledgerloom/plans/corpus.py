@@ -90,8 +90,7 @@ def m12_inline_facts(spark, sf):
 
 @query("SELECT id, CAST(w AS INTEGER) AS window_no, CAST(w * 350 AS INTEGER) AS token_start, CAST(least(w * 350 + 400, n) AS INTEGER) AS token_end FROM (SELECT id, n, unnest(range(0, CAST(greatest(ceil((n - 400) / 350.0), 0) AS BIGINT) + 1)) AS w FROM (SELECT id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-''’][\\p{L}\\p{N}_]+)*|[^\\p{L}\\p{N}_\\s]')) AS n FROM chunk WHERE regexp_full_match(text, '[ -~\\n]*')) WHERE n > 0)")
 def m9_token_windows(spark, sf):
-    c = raw(spark, sf, "chunk").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    return M.token_windows(c, "id", "text", 400, 50).select("id", "window_no", "token_start", "token_end")
+    return M.token_windows(raw(spark, sf, "chunk"), "id", "text", 400, 50).select("id", "window_no", "token_start", "token_end")
 
 
 @query("SELECT parsed_id, CAST(p AS INTEGER) AS page, length(substr(content, (p - 1) * 3000 + 1, 3000)) AS n FROM (SELECT parsed_id, content, unnest(range(1, CAST(ceil(length(content) / 3000.0) AS BIGINT) + 1)) AS p FROM parsed_document WHERE length(content) > 0)")
@@ -138,9 +137,7 @@ def m1_metadata(spark, sf):
 
 @query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z''-]+(?:\\s+[A-Z][A-Za-z''-]+){0,3}'))) AS n FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')")
 def m28_capitalised_spans(spark, sf):
-    d = raw(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    spans = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){0,3}"), 0))
-    return d.select("doc_id", F.size(spans).cast("bigint").alias("n"))
+    return raw(spark, sf, "documents").select("doc_id", F.size(M.capitalised_spans(F.col("text"))).cast("bigint").alias("n"))
 
 
 # -- N: entity resolution ------------------------------------------------------------------------------------------------------
