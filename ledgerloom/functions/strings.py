@@ -1,6 +1,6 @@
 """String functions as Column expressions (group J). Null in, null out unless said otherwise; the empty text is an ordinary value.
 
-Only accent folding of letters beyond ``ACCENTED`` needs more than built-in functions, and nothing here leaves the JVM.
+Only ``decomposed`` needs more than built-in functions: names that aren't ASCII leave the JVM there, nothing else does.
 """
 
 from __future__ import annotations
@@ -8,8 +8,10 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # By rule: letters whose compatibility decomposition begins with an ASCII letter, and that letter.
 _PAIRS = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
@@ -49,6 +51,18 @@ def unaccented(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
+def _decompositions(values: pa.Array) -> pa.Array:
+    coded = values.dictionary_encode()
+    got = [None if x is None else unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", x).casefold()) for x in coded.dictionary.to_pylist()]
+    return pa.array(got, pa.string()).take(coded.indices)
+
+
+def decomposed(c: Column) -> Column:
+    """Compatibility forms (full-width letters, ligatures) as ordinary characters, accents apart, case folded unless ASCII."""
+    ascii_only = ~c.rlike(r"[^\x00-\x7F]")
+    return F.when(ascii_only, c).otherwise(F.arrow_udf(_decompositions, StringType())(F.when(~ascii_only, c)))
+
+
 def folded(c: Column) -> Column:
     """Lower case without accents, full stops deleted, other punctuation as spaces, runs of spaces as one."""
     return F.trim(_chain(F.lower(unaccented(c)), (r"\.", ""), (r"[^\p{L}\p{N}_\s]", " "), (r"[\s_]+", " ")))
@@ -111,7 +125,7 @@ def name_variants(text: Column) -> Column:
 
 def usable_name(c: Column) -> Column:
     """False for null, placeholders, function words and single letters."""
-    name = clean_name(c)
+    name = clean_name(decomposed(c))
     return F.coalesce((F.length(name) >= 2) & ~F.lower(name).isin(*NO_NAMES), F.lit(False))
 
 

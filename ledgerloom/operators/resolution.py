@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.strings import content_tokens, folded, hyphen_slug, jaccard, polarity_conflict
+from ..functions.strings import content_tokens, decomposed, folded, hyphen_slug, jaccard, polarity_conflict
 
 
 def index_key(name: Column) -> Column:
-    """The folded name, percentages apart from amounts."""
-    return F.concat(folded(name), F.when(F.trim(name).endswith("(%)"), F.lit(" percent")).otherwise(F.lit("")))
+    """The folded name in any script, percentages apart from amounts."""
+    return F.concat(folded(decomposed(name)), F.when(F.trim(name).endswith("(%)"), F.lit(" percent")).otherwise(F.lit("")))
 
 
 def register(names: DataFrame, within: list[str], name: str, order: str) -> DataFrame:

@@ -147,13 +147,12 @@ _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(na
 
 @query(f"SELECT entity_type, arg_min(name, mention_id) AS display, count(DISTINCT name) AS n_spellings, count(*) AS n_mentions FROM (SELECT entity_type, name, mention_id, {_KEY} AS k FROM extracted_entity WHERE regexp_full_match(name, '[ -~\\s]*')) WHERE k <> '' GROUP BY entity_type, k")
 def n1_registry(spark, sf):
-    e = raw(spark, sf, "extracted_entity").where(F.col("name").rlike(r"^[ -~\s]*$"))
-    return resolution.register(e, ["entity_type"], "name", "mention_id").drop("entity_id")
+    return resolution.register(raw(spark, sf, "extracted_entity"), ["entity_type"], "name", "mention_id").drop("entity_id")
 
 
 @query(f"SELECT entity_type, count(DISTINCT {_KEY}) AS n_entities, count(*) AS n_mentions FROM extracted_entity WHERE regexp_full_match(name, '[ -~\\s]*') AND {_KEY} <> '' GROUP BY 1")
 def v12_resolution_report(spark, sf):
-    e = raw(spark, sf, "extracted_entity").where(F.col("name").rlike(r"^[ -~\s]*$"))
+    e = raw(spark, sf, "extracted_entity")
     return resolution.register(e, ["entity_type"], "name", "mention_id").groupBy("entity_type").agg(F.count("*").alias("n_entities"), F.sum("n_mentions").alias("n_mentions"))
 
 

@@ -55,8 +55,7 @@ def j11_singular(spark, sf):
 
 @query("SELECT mention_id, coalesce(length(n) >= 2 AND n NOT IN ('unknown', 'none', 'n/a', 'tbd', 'the', 'na', 'null'), false) AS usable FROM (SELECT mention_id, lower(regexp_replace(regexp_replace(trim(strip_accents(name)), '\\s*\\([^)]*\\)', '', 'g'), '^[ .,;:!?''-]+|[ .,;:!?''-]+$', '', 'g')) AS n FROM extracted_entity WHERE name IS NULL OR regexp_full_match(name, '[ -~]*'))")
 def j12_usable_name(spark, sf):
-    e = raw(spark, sf, "extracted_entity").where("name IS NULL OR name RLIKE '^[ -~]*$'")
-    return e.select("mention_id", J.usable_name(F.col("name")).alias("usable"))
+    return raw(spark, sf, "extracted_entity").select("mention_id", J.usable_name(F.col("name")).alias("usable"))
 
 
 @query("SELECT parsed_id, line_no, trim(cell) AS cell, CASE WHEN regexp_full_match(d, '\\d*\\.?\\d+') THEN CAST(d AS DOUBLE) END AS value, contains(cell, '%') AS is_percent FROM (SELECT parsed_id, line_no, cell, regexp_replace(regexp_replace(cell, '[$%,]', '', 'g'), '\\s+', '', 'g') AS d FROM (SELECT parsed_id, CAST(n AS BIGINT) AS line_no, unnest(string_split(l, '|')) AS cell FROM (SELECT parsed_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM parsed_document) WHERE starts_with(l, '|'))) WHERE regexp_full_match(trim(cell), '\\$?[\\d.,]+%?')")

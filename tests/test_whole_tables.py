@@ -1,6 +1,7 @@
 """Registered queries take every row of their tables: rows that DuckDB's rules can't follow are held against brute force."""
 
 import re
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,7 +14,7 @@ TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|[^\w\s]")
 TOKENS = [None if t is None else re.findall(r"(?:[^\W]|[̀-ͯ])+(?:[-'’](?:[^\W]|[̀-ͯ])+)*|[^\w\s]", t) for t in TEXTS]
 
 
-def stored(path, name, **columns):
+def stored(path, name, /, **columns):
     pq.write_table(pa.table(columns), f"{path}/{name}.parquet")
     return str(path)
 
@@ -44,3 +45,27 @@ def test_figures_of_all_texts(spark, tmp_path):
     at = stored(tmp_path, "chunk", id=[str(i) for i in range(len(TEXTS))], text=TEXTS)
     got = {r["id"]: r["figures"] for r in QUERIES["j20_figures"](spark, at).collect()}
     assert got == {"0": "12,345", "1": "56,789", "2": "１２,３４５", "3": "", "4": "", "5": "", "6": None, "7": ""}
+
+
+NAMES = ["Müller AG", "Müller ag", "MULLER A.G.", "ＭＵＬＬＥＲ　ＡＧ", "Straße ﬁne", "STRASSE fine", "Дом", "дом", "東京", "Acme", "Ｎ／Ａ", "É", None, "", "…", "Acme"]
+
+
+def folded_by_hand(name):
+    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", name).casefold())
+    text = "".join(c for c in text if unicodedata.category(c) != "Mn").replace(".", "")
+    return re.sub(r"[\s_]+", " ", re.sub(r"[^\w\s]", " ", text)).strip()
+
+
+def test_entities_of_all_names(spark, tmp_path):
+    at = stored(tmp_path, "extracted_entity", mention_id=list(range(len(NAMES))), name=NAMES, entity_type=["T"] * len(NAMES))
+    groups = {}
+    for n in NAMES:
+        if n and folded_by_hand(n):
+            groups.setdefault(folded_by_hand(n), []).append(n)
+    want = {("T", g[0], len(set(g)), len(g)) for g in groups.values()}
+    got = QUERIES["n1_registry"](spark, at).select("entity_type", "display", "n_spellings", "n_mentions").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and ("T", "Müller AG", 4, 4) in want and ("T", "Straße ﬁne", 2, 2) in want
+    assert tuple(QUERIES["v12_resolution_report"](spark, at).first()) == ("T", len(want), sum(w[3] for w in want))
+    usable = {r["mention_id"]: r["usable"] for r in QUERIES["j12_usable_name"](spark, at).collect()}
+    # Ｎ／Ａ is a placeholder, É a single letter
+    assert usable == {i: i not in (10, 11, 12, 13, 14) for i in range(len(NAMES))}
