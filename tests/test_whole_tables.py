@@ -69,3 +69,13 @@ def test_entities_of_all_names(spark, tmp_path):
     usable = {r["mention_id"]: r["usable"] for r in QUERIES["j12_usable_name"](spark, at).collect()}
     # Ｎ／Ａ is a placeholder, É a single letter
     assert usable == {i: i not in (10, 11, 12, 13, 14) for i in range(len(NAMES))}
+
+
+def test_components_of_all_suppliers(spark, tmp_path):
+    rows = [(i, i % 4 if i % 5 else 9) for i in range(1, 24)]
+    at = stored(tmp_path, "supplier", s_suppkey=[s for s, _ in rows], s_nationkey=[n for _, n in rows])
+    want = {}
+    for n in {n for _, n in rows}:
+        nodes = {f"N{n}"} | {f"P{s}" for s, m in rows if m == n}
+        want |= {x: min(nodes) for x in nodes}
+    assert {r["id"]: r["component"] for r in QUERIES["i_components"](spark, at).collect()} == want and len(want) == 28
