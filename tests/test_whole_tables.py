@@ -79,3 +79,15 @@ def test_components_of_all_suppliers(spark, tmp_path):
         nodes = {f"N{n}"} | {f"P{s}" for s, m in rows if m == n}
         want |= {x: min(nodes) for x in nodes}
     assert {r["id"]: r["component"] for r in QUERIES["i_components"](spark, at).collect()} == want and len(want) == 28
+
+
+def test_eccentricity_over_all_customers(spark, tmp_path):
+    at = stored(tmp_path, "nation", n_nationkey=[1, 2, 3], n_regionkey=[1, 1, 2])
+    stored(tmp_path, "supplier", s_suppkey=[1, 2], s_nationkey=[1, 3])
+    stored(tmp_path, "customer", c_custkey=[3, 7, 8], c_nationkey=[2, 1, 3])
+    pairs = [("N1", "R1"), ("N2", "R1"), ("N3", "R2"), ("P1", "N1"), ("P2", "N3"), ("C3", "N2"), ("C7", "N1"), ("C8", "N3")]
+    seen, level, depth = {"P1"}, {"P1"}, -1
+    while level:
+        level, depth = {y for a, b in pairs for x, y in ((a, b), (b, a)) if x in level} - seen, depth + 1
+        seen |= level
+    assert QUERIES["i7_eccentricity"](spark, at).first()["depth"] == depth == 4
