@@ -84,14 +84,30 @@ def one_form(text: str) -> str:
     return _WORD_WITH_LOOK.sub(_latin, text) if _LOOK.search(text) else text
 
 
+def _no_case(c: str) -> bool:
+    """Characters that the consistent form changes though they disguise nothing: signs, raised letters, single accented letters, and
+    letters of other scripts that are written so. Wide and narrow forms, ligatures and spaces are cases."""
+    tag, kind, to = unicodedata.decomposition(c).rpartition(">")[0], unicodedata.category(c), unicodedata.normalize("NFKC", c)
+    if to == c or kind[0] == "Z" or tag in ("<wide", "<narrow", "<initial", "<medial", "<final", "<isolated") and kind[0] in "LSPN":
+        return False
+    if kind[0] not in "LM" and kind != "Nl" or tag in ("<super", "<sub"):
+        return True
+    return not (to.isascii() or _LATIN.search(to) and tag or 0xFB00 <= ord(c) <= 0xFDFF and tag)
+
+
+# By rule: most letters that change are of the first planes; no Latin form lies beyond.
+_NO_CASES = frozenset(c for c in map(chr, range(0xA0, 0x30000)) if unicodedata.decomposition(c) and _no_case(c))
+_WITHOUT = dict.fromkeys(map(ord, _NO_CASES), "|")
+
+
 def is_disguised(text: str) -> bool:
     """Whether a text holds a full-width or ligature form, an accent apart from its letter, an invisible character, a space other
-    than the ordinary one, or a letter of another script in place of a Latin one."""
+    than the ordinary one, or a letter of another script in place of a Latin one: what the consistent form changes, but for case, line
+    breaks and the characters that are no cases, or an accent that no letter joins with."""
     if text.isascii():
         return any(c in text for c in _ASCII_CONTROLS) if not text.isprintable() else False
-    if _DISGUISED.search(text):
-        return True
-    return any(meant_as_latin(m[0]) for m in _WORD_WITH_LOOK.finditer(text)) if _LOOK.search(text) else False
+    text = _BREAK.sub("\n", text if _NO_CASES.isdisjoint(text) else text.translate(_WITHOUT))
+    return uncased_form(text) != text or bool(_DISGUISED.search(text))
 
 
 _ASCII_CONTROLS = "".join(map(chr, [*range(9), *range(14, 32), 127]))

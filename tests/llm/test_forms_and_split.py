@@ -90,3 +90,12 @@ def test_split_of_a_table(spark):
 def test_counts_follow_the_token_rule():
     assert split.TOKEN.findall("a-b c'd 5.3 x​y ™") == ["a-b", "c'd", "5", ".", "3", "x", "y", "™"]
     assert unicodedata.category("​") == "Cf"
+
+
+def test_the_flag_follows_the_form():
+    from ledgerloom.llm.forms import is_disguised
+
+    for case in ("\u0133s", "\u01c6ep", "\ufe8d", "\ufb01ne", "\u0410cme", "e\u0301", "x\u0302", "\u00e4\u00a0b", "a\u200bb", "\u0410\u0441me", "\ufdfa", "\U0001d400cme", "\u212aelvin", "\u3000\u00e4", "\uff71"):
+        assert is_disguised(case), case
+    for plain in ("M\u00fcller\u2122", "“a” – b • c…", "5 \u00b5m\u00b2, n\u00ba 3 \u00bd", "Дом \u21165", "東京", "\u0e19\u0e49\u0e33", "\u212b\u00c5", "a\r\n\u00e9", "①", "\u00e9\u00b4", "", "\u314b\u314b", "Ⓡ ® ©"):
+        assert not is_disguised(plain), plain
