@@ -27,10 +27,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; only where that is unset, a folder of this machine."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only on one machine, as in tests, may that be unset; a folder
+    of the machine then takes its place. On a cluster an unset folder is an error: each executor would write to a disk of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -41,9 +45,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs a re-read only."""
-    at = new_folder(df.sparkSession, name)
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there, on whatever file system."""
+    fs, path = _at(spark, folder)
+    return fs.exists(path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables that nothing reads any more."""
+    fs, path = _at(spark, folder)
+    fs.delete(path, True)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends there, so a lost executor costs a re-read only. In ``folder``
+    tables can be removed together."""
+    at = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
