@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import idempotent_nodes
-from ..session import new_folder
-from ..sources.files import spilled
+from ..session import exists, new_folder
 
 
 def file_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int = 4) -> DataFrame:
@@ -30,13 +30,18 @@ def available(stream: DataFrame, each: Callable[[DataFrame, int], None], folder:
 
 
 def incremental_load(spark: SparkSession, stream: DataFrame, key: str, order: str, folder: str | None = None) -> DataFrame:
-    """Rows with keys that are not stored yet, the first of each batch, appended once."""
+    """Rows with keys that are not stored yet, the first of each batch, appended once. A batch that is replayed after a failure
+    is held against the other batches only and takes the place of what it wrote before; rows without a key are left out."""
     at = folder or new_folder(spark, "load")
     schema = stream.schema
+    stored_schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        # Each micro-batch owns its folder, so a replay overwrites instead of appending twice.
-        stored = spilled(batch.sparkSession, f"{at}/table", schema).where(F.lit(True))
+        own = batch.sparkSession
+        if exists(own, f"{at}/table"):
+            stored = own.read.schema(stored_schema).parquet(f"{at}/table").where(F.col("batch") != batch_id).drop("batch")
+        else:
+            stored = own.createDataFrame([], schema)
         idempotent_nodes(batch, stored, key, [order]).write.mode("overwrite").parquet(f"{at}/table/batch={batch_id}")
 
     available(stream, add, at)

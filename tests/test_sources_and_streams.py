@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -56,6 +57,37 @@ def test_incremental_load_is_idempotent(spark, tmp_path):
     assert {(r["id"], r["seq"]) for r in got.collect()} == {("a", 1), ("b", 2), ("c", 4)}
 
 
+def test_a_replayed_batch_leaves_the_table_as_it_was(spark, tmp_path):
+    src, at = tmp_path / "src", tmp_path / "out"
+    for rows in ([("a", 1), ("b", 2)], [("b", 9), ("c", 4)]):
+        spark.createDataFrame(rows, "id string, seq int").coalesce(1).write.mode("append").parquet(str(src))
+    stream = lambda: spark.readStream.schema("id string, seq int").option("maxFilesPerTrigger", 1).parquet(str(src))
+    before = {tuple(r) for r in loads.incremental_load(spark, stream(), "id", "seq", str(at)).collect()}
+    assert len(before) == 3
+    marks = sorted(p for p in (at / "progress/commits").iterdir() if p.name.isdigit())
+    assert len(marks) == 2  # two micro-batches
+    marks[-1].unlink()  # the last batch was written, but its commit was lost
+    (at / "progress/commits" / f".{marks[-1].name}.crc").unlink(missing_ok=True)
+    assert {tuple(r) for r in loads.incremental_load(spark, stream(), "id", "seq", str(at)).collect()} == before
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    kind = "ts string, event_type string, value double"
+    seen = set()
+    for n, rows in enumerate(([("2024-01-01 10:05:00", "x", 1.0)], [("2024-01-01 14:00:00", "x", 2.0)], [("2024-01-01 14:01:00", "x", 2.0)], [("2024-01-01 10:10:00", "x", 5.0), ("2024-01-01 13:55:00", "x", 3.0)], [("2024-01-01 18:00:00", "x", 1.0)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        for f in set(tmp_path.glob("src/*.parquet")) - seen:
+            os.utime(f, (1_700_000_000 + 60 * n,) * 2)  # the order of arrival
+            seen.add(f)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src)
+    keep = lambda b, i: b.select(F.col("w.start").cast("string").alias("start"), "n", "total").write.mode("append").parquet(out)
+    loads.windowed(stream).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    # The row of 10:10 arrives after the window of 10:00 was closed; that of 13:55 within the ten minutes that are waited.
+    assert {("2024-01-01 10:00:00", 1, 1.0), ("2024-01-01 13:00:00", 1, 3.0), ("2024-01-01 14:00:00", 2, 4.0)} <= got and len(got) <= 4
+
+
 def test_transitions(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     rows = [("A", "staged", 1), ("A", "extracted", 2), ("A", "failed", 3), ("B", "extracted", 1), ("B", "staged", 2)]
