@@ -6,15 +6,40 @@ from ledgerloom.operators import drift
 SCHEMA = "line_id bigint, pipeline_id bigint, file_name string, raw string, stage string"
 
 
+def compare(old, seen, new):
+    """The changes from one record's tagged paths to the next one's, by the rule."""
+    kind = lambda p: old[p] or seen.get(p, "")
+    agree = lambda a, b: not kind(a) or not new[b] or kind(a) == new[b]
+    gone, come, out = sorted(set(old) - set(new)), sorted(set(new) - set(old)), set()
+    for a in list(gone):
+        match = [b for b in come if a.split(".")[-1] == b.split(".")[-1] and agree(a, b)]
+        if match:
+            gone.remove(a)
+            come.remove(match[0])
+            out.add(("renamed", a, match[0]))
+    if len(gone) == len(come) == 1 and agree(gone[0], come[0]):
+        out.add(("renamed", gone.pop(), come.pop()))
+    out |= {("removed", a, "") for a in gone} | {("added", "", b) for b in come}
+    return out | {("type_changed", p, p) for p, t in new.items() if t and p in old and seen.get(p, t) != t}
+
+
 def sequential(rows):
-    """The rule, one record after the other."""
+    """The rule, one record after the other, without unions."""
     streams, out = {}, set()
     ordered = sorted((r for r in rows if r[1] is not None and drift._STAMP.search(r[2] or "")), key=lambda r: (drift._STAMP.search(r[2])[1], r[2], r[0]))
     for _, pid, file, raw, _ in ordered:
         got = drift.parse(raw)
-        if got:
-            s = streams.setdefault((pid, got[0]), drift._Stream((pid, got[0])))
-            out |= {(pid, file, got[0], k, a, b) for k, a, b, *_ in s.take((pid, got[0]), file, json.loads(got[1])) or ()}
+        if not got:
+            continue
+        stage, new = got[0], json.loads(got[1])
+        before, old, seen = streams.get((pid, stage), (None, None, {}))
+        if before == file:
+            continue
+        for what, a, b in compare(old, seen, new) if old is not None else ():
+            out.add((pid, file, stage, what, a, b))
+            if what == "renamed" and a in seen:
+                seen[b] = seen[a]
+        streams[pid, stage] = (file, new, seen | {p: t for p, t in new.items() if t})
     return out
 
 
@@ -56,6 +81,27 @@ def test_a_long_stream_over_many_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
+def test_unions_fuse_as_they_grow():
+    rng, names = random.Random(3), ["p", "q", "r", "a.p", "b.q"]
+    kinds = ["number", "string", ""]
+    for _ in range(300):
+        texts = [json.dumps({n: rng.choice(kinds) for n in sorted(names) if rng.random() < 0.7}) for _ in range(rng.randrange(2, 9))]
+        whole, parts, cut = drift.Union(), [drift.Union(), drift.Union()], rng.randrange(1, len(texts))
+        for i, t in enumerate(texts):
+            whole.take("k", f"f{i}", t)
+            parts[i >= cut].take("k", f"f{i}", t)
+        fused, more = parts[0].fuse(parts[1]), json.dumps({"p": "number", "q": "string", "x": "array"})
+        assert sorted(fused.take("k", "z", more)) == sorted(whole.take("k", "z", more))
+
+
+def test_more_paths_than_columns(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MOST_PATHS", 3)
+    rows = [(i, 1, f"A_2024010{i}_000000.json", record("a", **{f"id{i}": i, "x": i}), "z") for i in range(1, 5)]
+    t = drift.consistent_table(spark.createDataFrame(rows, SCHEMA))
+    got = {r["file_name"]: r for r in t.collect()}
+    assert got["A_20240102_000000.json"]["~rest"] == {"metadata.id2": "2"} and got["A_20240102_000000.json"]["metadata.x"] == 2.0
+
+
 def test_one_table_of_all_records(spark):
     rows = [(1, 1, "A_20240101_000000.json", record("a", x=1, Y=1), "z"), (2, 1, "A_20240102_000000.json", record("a", x="seven", y=[1, 2]), "z"), (3, 1, "A_20240103_000000.json", record("a", x=2.5), "z"), (4, 1, "A_20240104_000000.json", record("a", x=1) + " trailing", "z")]
     t = drift.consistent_table(spark.createDataFrame(rows, SCHEMA))
