@@ -7,8 +7,8 @@ that are idempotent: a batch that is replayed after a failure adds nothing twice
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.merge import idempotent_nodes
 from ..session import exists, new_folder
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def file_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int = 4) -> DataFrame:
     """A table's files as a stream, in its own schema."""
@@ -63,6 +66,8 @@ def transitions(records: DataFrame) -> DataFrame:
     refused and counted. The state of a ticker is kept between batches."""
 
     def move(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # only here: it takes much of a driver's memory
+
         status, refused = state.get if state.exists else ("", 0)
         for at, to in sorted((r.at, r.status) for f in frames for r in f.itertuples()):
             if to in NEXT.get(status, ()):
