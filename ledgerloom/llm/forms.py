@@ -32,7 +32,17 @@ GREEK_LOOKALIKES = {
 }
 #: Resemble a Latin letter only loosely: replaced beside Latin letters, no sign of a Latin word by themselves.
 LOOSE_LOOKALIKES = {"α": "a", "γ": "y", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "к": "k"}
-LOOKALIKES = CYRILLIC_LOOKALIKES | GREEK_LOOKALIKES | LOOSE_LOOKALIKES
+#: Letters of scripts in which whole words of such letters are ordinary words: replaced beside Latin letters only.
+OTHER_LOOKALIKES = {
+    "Օ": "O", "օ": "o", "Տ": "S", "Ս": "U", "ս": "u", "Լ": "L", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "y", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z",
+    "ס": "o", "ዐ": "O", "ሀ": "U", "ყ": "y", "ⵔ": "O", "ⵝ": "X", "Ϳ": "J", "ϳ": "j", "Ϲ": "C", "Ϻ": "M", "Ϝ": "F", "σ": "o", "Ԍ": "G",
+}
+LOOKALIKES = CYRILLIC_LOOKALIKES | GREEK_LOOKALIKES | LOOSE_LOOKALIKES | OTHER_LOOKALIKES
 # Unicode's default-ignorable code points, as ranges of a character class.
 IGNORABLE = (
     "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
@@ -76,12 +86,16 @@ def uncased_form(text: str) -> str:
 
 
 def one_form(text: str) -> str:
-    """The consistent form of one text."""
-    if text.isascii():
-        return uncased_form(text).lower()
-    text = unicodedata.normalize("NFKC", uncased_form(text).casefold())
-    # A cased letter may fold into a look-alike that only now stands beside Latin letters.
-    return _WORD_WITH_LOOK.sub(_latin, text) if _LOOK.search(text) else text
+    """The consistent form of one text: its steps are repeated until nothing changes, for each may give the others something to do (a
+    cased letter may fold into a look-alike, which only then stands beside Latin letters and joins with an accent)."""
+    for _ in range(20):  # three passes are the most that was ever seen
+        if text.isascii():
+            break
+        after = unicodedata.normalize("NFKC", uncased_form(text).casefold())
+        if after == text:
+            return text
+        text = after
+    return uncased_form(text).lower() if text.isascii() else text
 
 
 def _no_case(c: str) -> bool:

@@ -99,3 +99,18 @@ def test_the_flag_follows_the_form():
         assert is_disguised(case), case
     for plain in ("M\u00fcller\u2122", "“a” – b • c…", "5 \u00b5m\u00b2, n\u00ba 3 \u00bd", "Дом \u21165", "東京", "\u0e19\u0e49\u0e33", "\u212b\u00c5", "a\r\n\u00e9", "①", "\u00e9\u00b4", "", "\u314b\u314b", "Ⓡ ® ©"):
         assert not is_disguised(plain), plain
+
+
+def test_the_form_of_a_form_is_itself():
+    rng = random.Random(7)
+    every = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)]) if unicodedata.category(c) != "Cn"]
+    for _ in range(100_000):
+        text = "".join(rng.choice(every) if rng.random() < 0.7 else rng.choice("abcDEF Оа") for _ in range(4))
+        assert forms.one_form(forms.one_form(text)) == forms.one_form(text)
+
+
+def test_look_alikes_of_many_scripts_beside_latin_letters():
+    for text, form in (("օrange", "orange"), ("Ꭺpple", "apple"), ("ꓮpple", "apple"), ("Ⲟil", "oil"), ("Соса", "coca")):
+        assert forms.one_form(text) == form and forms.is_disguised(text)
+    for text in ("γ-globulin", "Рукюфю", "Σίσυφος", "ᎪᎳᎩ"):
+        assert not forms.is_disguised(text)
