@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import drift
-from .plans import corpus, evidence, filings, graphs, relational, scalars, streams  # noqa: F401
+from .plans import corpus, evidence, filings, graphs, relational, scalars, shown, streams  # noqa: F401
 from .registry import ORACLE, QUERIES, query
 from .session import table
 
