@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .forms import uncased_form
 
 #: Most labelled documents of the fit, ordinary and abusive.
-FIT_DOCUMENTS = (6_000, 2_000)
+FIT_DOCUMENTS = (10_000, 2_500)
 #: Parts for held-out scores, parts within a training, rounds of its alternation, and the compression level.
 FOLDS, INNER, ROUNDS, LEVEL = 4, 3, 2, 3
 #: From which leaning on a window counts as abusive.
