@@ -26,13 +26,18 @@ POLARITY = (
 )
 TITLES = r"^(dr|prof|professor|mr|mrs|ms|miss|sir|dame|lord|lady|capt|captain|gen|general|rev|reverend|st|saint|president|senator|governor|judge|the)\.?\s+"
 KEPT_TITLES = r"(?i)^(king|queen|prince|princess|pope|emperor|empress|duke|duchess|earl)\b"
-NO_NAMES = (
+# Placeholders, and words that name nothing.
+PLACEHOLDERS = (
     "unknown", "n a", "na", "none", "null", "n/a", "tbd", "example", "placeholder", "test", "entity", "entities", "document", "text", "passage", "various",
-    "misc", "multiple", "unnamed", "unspecified", "a", "an", "the", "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "there", "here",
-    "when", "where", "which", "who", "whom", "whose", "what", "why", "how", "is", "are", "was", "were", "be", "been", "do", "does", "did", "has", "have", "had",
-    "will", "would", "shall", "should", "may", "might", "must", "can", "could", "of", "in", "on", "at", "to", "for", "from", "by", "with", "as", "it", "its",
-    "they", "them", "their", "he", "she", "his", "her", "we", "us", "our", "you", "your", "not", "no", "yes", "all", "any", "some", "each", "every", "both",
-    "other", "others", "another", "into", "onto", "over", "under", "above", "below", "between", "among", "during", "before", "after", "about",
+    "misc", "multiple", "unnamed", "unspecified",
+)
+NON_ENTITY_WORDS = (
+    "a", "an", "the", "and", "or", "but", "nor", "so", "yet", "if", "then", "than", "that", "this", "these", "those", "there", "here", "when", "where",
+    "which", "who", "whom", "whose", "what", "why", "how", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "done", "has",
+    "have", "had", "will", "would", "shall", "should", "may", "might", "must", "can", "could", "of", "in", "on", "at", "to", "for", "from", "by", "with",
+    "as", "it", "its", "they", "them", "their", "he", "she", "his", "her", "we", "us", "our", "you", "your", "not", "no", "yes", "all", "any", "some",
+    "each", "every", "both", "other", "others", "another", "into", "onto", "over", "under", "above", "below", "between", "among", "during", "before",
+    "after", "about", "afterwards",
 )
 DASHES = ("", "-", "--", "—", "–", "n/a", "na", "nm", "none", "nil")
 
@@ -126,7 +131,7 @@ def name_variants(text: Column) -> Column:
 def usable_name(c: Column) -> Column:
     """False for null, placeholders, function words and single letters."""
     name = clean_name(decomposed(c))
-    return F.coalesce((F.length(name) >= 2) & ~F.lower(name).isin(*NO_NAMES), F.lit(False))
+    return F.coalesce((F.length(name) >= 2) & ~F.lower(name).isin(*PLACEHOLDERS, *NON_ENTITY_WORDS), F.lit(False))
 
 
 _UNIT = r"(?i)\s*\(\s*(?:in\s+)?(?:(?:[$€£¥]|usd|eur|gbp|jpy|rmb|cny|dollars?|euros?|pounds?|yen)\s*)?(?:in\s+)?(?:thousands|millions|billions|trillions|shares|units|per\s+share)\s*\)\s*$|(?i)\s*\(\s*(?:in\s+)?(?:[$€£¥]|usd|eur|gbp|jpy|rmb|cny|dollars?|euros?|pounds?|yen)\s*\)\s*$"

@@ -33,21 +33,27 @@ def _ratios(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def candidates(names: DataFrame, known: DataFrame, most: int = 64) -> DataFrame:
-    """Pairs (id, known_id) that share a word (C26, N4). Words of more than ``most`` known names are dropped from the rarest-first index
-    for names that have a rarer word; a name with frequent words only keeps its rarest one."""
+def candidates(names: DataFrame, known: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs (id, known_id) that share a word and can have a Jaccard similarity of at least ``least`` (C26, N4): all of them, whatever
+    the words' frequency. The words of both sides are ranked from the rarest on; two sets that are similar enough share one of their
+    first n - ceil(least n) + 1 words, so frequent words are joined on only where a name has hardly others."""
     post = known.select("known_id", F.explode(content_tokens(F.col("known_name"))).alias("word"))
     width = post.groupBy("word").agg(F.count("*").alias("width"))
-    asked = names.select("id", F.explode(content_tokens(F.col("name"))).alias("word")).join(width, "word")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("width", "word"))
-    kept = asked.withColumn("r", rank).where((F.col("width") <= most) | (F.col("r") == 1))
-    return kept.join(post, "word").select("id", "known_id").distinct()
+
+    def prefix(words: DataFrame, key: str) -> DataFrame:
+        ranked = words.join(width, "word", "left").select(key, "word", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("width", F.lit(0)), "word")).alias("rank"), F.count("*").over(W.partitionBy(key)).alias("n"))
+        return ranked.where(F.col("rank") <= F.col("n") - F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.lit(1)) + 1).select(key, "word", F.col("n").alias(f"n_{key}"))
+
+    asked = prefix(names.select("id", F.explode(content_tokens(F.col("name"))).alias("word")), "id")
+    near = asked.join(prefix(post, "known_id"), "word").where((F.col("n_id") >= least * F.col("n_known_id") - 1e-9) & (F.col("n_known_id") >= least * F.col("n_id") - 1e-9))
+    return near.select("id", "known_id").distinct()
 
 
 def best_fuzzy(names: DataFrame, known: DataFrame, threshold: float = 0.88) -> DataFrame:
     """id, known_id, score, runner_up: the best known name from the threshold on (N5, J17, E12): nine tenths common words, one tenth the
     ratio of matching runs; names of opposite sense never match; ties go to the smaller id."""
-    pairs = candidates(names, known).join(names.select("id", "name"), "id").join(known.select("known_id", "known_name"), "known_id")
+    # The ratio of runs adds at most a tenth, so this much has to come of common words.
+    pairs = candidates(names, known, max((threshold - 0.1) / 0.9, 0.0)).join(names.select("id", "name"), "id").join(known.select("known_id", "known_name"), "known_id")
     words = jaccard(content_tokens(F.col("name")), content_tokens(F.col("known_name")))
     # The ratio adds at most a tenth, so pairs that cannot reach the threshold never leave the JVM.
     close = pairs.withColumn("w", words).where((F.col("w") * 0.9 + 0.1 >= threshold) & ~polarity_conflict(F.col("name"), F.col("known_name")))

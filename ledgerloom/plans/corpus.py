@@ -156,6 +156,22 @@ def v12_resolution_report(spark, sf):
     return resolution.register(e, ["entity_type"], "name", "mention_id").groupBy("entity_type").agg(F.count("*").alias("n_entities"), F.sum("n_mentions").alias("n_mentions"))
 
 
+_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})), '\\.', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '[\\s_]+', ' ', 'g')), ' '), lambda t: length(t) >= 3 AND t NOT IN (" + ", ".join(f"'{w}'" for w in J.STOPWORDS) + ")))"
+
+
+@query(
+    f"WITH n AS (SELECT id, unnest(w) AS word, w FROM (SELECT mention_id AS id, {_WORDS.format('name')} AS w FROM extracted_entity WHERE name IS NOT NULL)), k AS (SELECT canonical_id, unnest(w) AS word, w FROM (SELECT canonical_id, {_WORDS.format('canonical_name')} AS w FROM canonical_entity)), "
+    "j AS (SELECT DISTINCT id, canonical_id, len(list_intersect(n.w, k.w)) / len(list_distinct(list_concat(n.w, k.w))) AS jaccard FROM n JOIN k USING (word)) SELECT id, canonical_id AS known_id, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.5 - 1e-9"
+)
+def n4_candidates(spark, sf):
+    """All pairs of names and known names at least half of whose words are common, through the prefix filter."""
+    names = raw(spark, sf, "extracted_entity").where("name IS NOT NULL").select(F.col("mention_id").alias("id"), "name")
+    known = raw(spark, sf, "canonical_entity").select(F.col("canonical_id").alias("known_id"), F.col("canonical_name").alias("known_name"))
+    both = resolution.candidates(names, known, 0.5).join(names, "id").join(known, "known_id")
+    j = J.jaccard(J.content_tokens(F.col("name")), J.content_tokens(F.col("known_name")))
+    return both.select("id", "known_id", F.round(j, 6).alias("jaccard")).where("jaccard >= 0.5 - 1e-9")
+
+
 @query()
 def n5_best_fuzzy(spark, sf):
     names = raw(spark, sf, "extracted_entity").where("name IS NOT NULL").groupBy("name").agg(F.min("mention_id").alias("id"))
@@ -174,7 +190,16 @@ def n8_resolved_subgraph(spark, sf):
 # -- O: retrieval --------------------------------------------------------------------------------------------------------------
 
 # Words that are written in capitals and are no tickers.
-STOP = ("WHAT", "WHEN", "WHO", "WHY", "HOW", "THE", "A", "AN", "AND", "OR", "IN", "ON", "AT", "TO", "OF", "BY", "FY", "SEC", "CEO", "CFO", "USD", "EPS", "GAAP", "IS", "ARE", "DID", "DOES", "NO", "IF", "I")
+STOP = (
+    "WHAT WHEN WHERE WHICH WHO WHOM WHY HOW CAN COULD DO DOES DID DONE WILL WOULD SHALL SHOULD MAY MIGHT MUST IS ARE WAS WERE BE BEEN BEING "
+    "HAVE HAS HAD HAVING GET GOT TELL SHOW GIVE FIND THE A AN AND OR BUT IF THEN ELSE SO FOR NOR YET IN ON AT TO OF BY FROM WITH WITHOUT ABOUT "
+    "AGAINST BETWEEN INTO THROUGH DURING BEFORE AFTER ABOVE BELOW UNDER OVER UP DOWN OFF OUT NEAR ALL ANY BOTH EACH FEW MORE MOST OTHER SOME SUCH NO NOT "
+    "ONLY OWN SAME THAN TOO VERY JUST ALSO NOW HERE THERE THIS THAT THESE THOSE I ME MY YOU YOUR HE HIM HIS SHE HER IT ITS WE US OUR THEY THEM THEIR "
+    "FY SEC CEO CFO COO CTO CIO USD EUR GBP JPY CAD AUD GAAP EPS EBIT EBITDA CAGR PE PB ROE ROA ROIC DCF WACC IRR NPV IPO NAV AUM RAG "
+    "LLM AI API ML NLP CPU GPU TPU Q1 Q2 Q3 Q4 H1 H2 K Q YOY MOM QOQ TTM ITEM NOTE FORM RISK RISKS COST COSTS DEBT CASH "
+    "TAX TAXES NET GROSS TOTAL FLOW FLOWS SHARE SHARES GROWTH MARGIN INCOME PROFIT LOSS REPORT FILING YEAR "
+    "ANNUAL LATEST PRICE VALUE BREAK SALES REVENUE TOP LINE SEGMENT EVENT CHUNK TABLE DATA CORPUS JP"
+).split()
 
 
 def routed(questions: DataFrame, companies: DataFrame) -> DataFrame:
