@@ -88,7 +88,7 @@ def m12_inline_facts(spark, sf):
 # -- M: documents --------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT id, CAST(w AS INTEGER) AS window_no, CAST(w * 350 AS INTEGER) AS token_start, CAST(least(w * 350 + 400, n) AS INTEGER) AS token_end FROM (SELECT id, n, unnest(range(0, CAST(greatest(ceil((n - 400) / 350.0), 0) AS BIGINT) + 1)) AS w FROM (SELECT id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-''’][\\p{L}\\p{N}_]+)*|[^\\p{L}\\p{N}_\\s]')) AS n FROM chunk WHERE regexp_full_match(text, '[ -~\\n]*')) WHERE n > 0)")
+@query("SELECT id, CAST(w AS INTEGER) AS window_no, CAST(w * 350 AS INTEGER) AS token_start, CAST(least(w * 350 + 400, n) AS INTEGER) AS token_end FROM (SELECT id, n, unnest(range(0, CAST(greatest(ceil((n - 400) / 350.0), 0) AS BIGINT) + 1)) AS w FROM (SELECT id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]+(?:[-''’][\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]+)*|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')) AS n FROM chunk) WHERE n > 0)")
 def m9_token_windows(spark, sf):
     return M.token_windows(raw(spark, sf, "chunk"), "id", "text", 400, 50).select("id", "window_no", "token_start", "token_end")
 
@@ -135,22 +135,29 @@ def m1_metadata(spark, sf):
     return raw(spark, sf, "filing").select("filing_seq", M.filing_metadata(F.col("document_title"))["form_type"].alias("form_type"))
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z''-]+(?:\\s+[A-Z][A-Za-z''-]+){0,3}'))) AS n FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}])(\\p{Lu}[\\p{L}\\p{M}''’-]+(?:[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+\\p{Lu}[\\p{L}\\p{M}''’-]+){0,3})', 1))) AS n FROM documents")
 def m28_capitalised_spans(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", F.size(M.capitalised_spans(F.col("text"))).cast("bigint").alias("n"))
 
 
 # -- N: entity resolution ------------------------------------------------------------------------------------------------------
 
-_KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(name)), '\\.', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g'), '[\\s_]+', ' ', 'g'))"
+# Full-width letters and ligatures as ordinary ones, for SQL.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+_PLAIN = "translate({0}, '" + _WIDE + "', '" + _NARROW.replace("'", "''") + "')"
+_PLAIN = _PLAIN.replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}")
+for _a, _b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ß", "ss"), ("™", "tm")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+_BARE = f"regexp_replace(strip_accents({_PLAIN}), '\\p{{{{Mn}}}}+', '', 'g')"
+_KEY = f"trim(regexp_replace(regexp_replace(regexp_replace(lower({_BARE.format('name')}), '\\.', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '[\\s_]+', ' ', 'g'))"
 
 
-@query(f"SELECT entity_type, arg_min(name, mention_id) AS display, count(DISTINCT name) AS n_spellings, count(*) AS n_mentions FROM (SELECT entity_type, name, mention_id, {_KEY} AS k FROM extracted_entity WHERE regexp_full_match(name, '[ -~\\s]*')) WHERE k <> '' GROUP BY entity_type, k")
+@query(f"SELECT entity_type, arg_min(name, mention_id) AS display, count(DISTINCT name) AS n_spellings, count(*) AS n_mentions FROM (SELECT entity_type, name, mention_id, {_KEY} AS k FROM extracted_entity) WHERE k <> '' GROUP BY entity_type, k")
 def n1_registry(spark, sf):
     return resolution.register(raw(spark, sf, "extracted_entity"), ["entity_type"], "name", "mention_id").drop("entity_id")
 
 
-@query(f"SELECT entity_type, count(DISTINCT {_KEY}) AS n_entities, count(*) AS n_mentions FROM extracted_entity WHERE regexp_full_match(name, '[ -~\\s]*') AND {_KEY} <> '' GROUP BY 1")
+@query(f"SELECT entity_type, count(DISTINCT {_KEY}) AS n_entities, count(*) AS n_mentions FROM extracted_entity WHERE {_KEY} <> '' GROUP BY 1")
 def v12_resolution_report(spark, sf):
     e = raw(spark, sf, "extracted_entity")
     return resolution.register(e, ["entity_type"], "name", "mention_id").groupBy("entity_type").agg(F.count("*").alias("n_entities"), F.sum("n_mentions").alias("n_mentions"))

@@ -96,7 +96,7 @@ def f8_trimmed(spark, sf):
     return nodes.select("id", F.when(F.col("depth") == 0, "seed").otherwise("near").alias("role"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT 'N' || s_nationkey AS a, 'P' || s_suppkey AS b FROM supplier WHERE s_suppkey % 3 = 0), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM sym UNION SELECT s.b, r.root FROM r JOIN sym s ON s.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT 'N' || s_nationkey AS a, 'P' || s_suppkey AS b FROM supplier), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM sym UNION SELECT s.b, r.root FROM r JOIN sym s ON s.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY 1")
 def i_components(spark, sf):
     """Connected components, an extension."""
     e = Graph(spark, sf).raw("supplier").select(Graph.key("N", "s_nationkey").alias("src"), Graph.key("P", "s_suppkey").alias("dst"))

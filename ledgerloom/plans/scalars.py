@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fiscal as K
 from ..functions import strings as J
 from ..registry import query
+from .corpus import _BARE
 from .graph import Graph
 
 
@@ -42,7 +43,7 @@ def j7_content_tokens(spark, sf):
     return raw(spark, sf, "company").select("ticker", F.array_join(J.content_tokens(F.col("name")), " ").alias("tokens"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[-''’][\\p{L}\\p{N}_]+)*|[^\\p{L}\\p{N}_\\s]')) AS n FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]+(?:[-''’][\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]+)*|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')) AS n FROM documents")
 def j9_count_tokens(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", J.count_tokens(F.col("text")).cast("bigint").alias("n"))
 
@@ -53,7 +54,11 @@ def j11_singular(spark, sf):
     return raw(spark, sf, "eval_question").select("id", J.singular(w).alias("singular"))
 
 
-@query("SELECT mention_id, coalesce(length(n) >= 2 AND n NOT IN ('unknown', 'none', 'n/a', 'tbd', 'the', 'na', 'null'), false) AS usable FROM (SELECT mention_id, lower(regexp_replace(regexp_replace(trim(strip_accents(name)), '\\s*\\([^)]*\\)', '', 'g'), '^[ .,;:!?''-]+|[ .,;:!?''-]+$', '', 'g')) AS n FROM extracted_entity WHERE name IS NULL OR regexp_full_match(name, '[ -~]*'))")
+_CLEAN = f"regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(trim({_BARE.format('name')}), '\\s*\\([^)]*\\)', '', 'g'), '[''’]s?$', ''), '’', ''''), '\\s+', ' ', 'g'), '^[ \\t\\n\\r.,;:!?''-]+|[ \\t\\n\\r.,;:!?''-]+$', '', 'g')"
+_NO_NAMES = ", ".join(f"'{w}'" for w in (*J.PLACEHOLDERS, *J.NON_ENTITY_WORDS))
+
+
+@query(f"SELECT mention_id, coalesce(length(n) >= 2 AND lower(n) NOT IN ({_NO_NAMES}), false) AS usable FROM (SELECT mention_id, {_CLEAN} AS n FROM extracted_entity)")
 def j12_usable_name(spark, sf):
     return raw(spark, sf, "extracted_entity").select("mention_id", J.usable_name(F.col("name")).alias("usable"))
 
@@ -66,7 +71,7 @@ def j18_parse_number_cells(spark, sf):
     return got.select("parsed_id", "line_no", F.trim("cell").alias("cell"), "n.value", "n.is_percent")
 
 
-@query("SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b', ' ', 'g'), '\\(?-?[0-9][0-9,]*\\.?[0-9]*\\)?%?'), lambda x: rtrim(x, ',')), lambda x: replace(trim(x, '()%'), ',', '') <> '' AND NOT regexp_full_match(replace(trim(x, '()%'), ',', ''), '[0-9]{4}|0[0-9]{6,9}|[0-9]{1,2}')), ' ') AS figures FROM chunk WHERE NOT regexp_matches(text, '[０-９]')")
+@query("SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '\\p{Nd}{4}-\\p{Nd}{2}-\\p{Nd}{2}', ' ', 'g'), '\\b\\p{Nd}{1,2}/\\p{Nd}{1,2}/\\p{Nd}{2,4}\\b', ' ', 'g'), '\\(?-?\\p{Nd}[\\p{Nd},]*\\.?\\p{Nd}*\\)?%?'), lambda x: rtrim(x, ',')), lambda x: replace(trim(x, '()%'), ',', '') <> '' AND NOT regexp_full_match(replace(trim(x, '()%'), ',', ''), '\\p{Nd}{4}|0\\p{Nd}{6,9}|\\p{Nd}{1,2}')), ' ') AS figures FROM chunk")
 def j20_figures(spark, sf):
     return raw(spark, sf, "chunk").select("id", F.array_join(J.figures(F.col("text")), " ").alias("figures"))
 
