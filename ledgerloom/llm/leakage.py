@@ -5,8 +5,9 @@ side. The fingerprints are cut into RADIUS + 1 blocks; two fingerprints within R
 each block finds all of them. Candidates are verified by their exact weighted-shingle similarity (a shingle weighs the more, the fewer
 evaluation windows hold it); a similarity of 1 means that all words are equal.
 
-The corpus is read once and never shuffled; only matches leave a task. The evaluation side is counted and taken in slices of at most
-``SLICE`` items, each of which is broadcast (under 40 MB), so the set may be of any size.
+The corpus is never shuffled; only matches leave a task. The evaluation side is counted, and up to ``SLICE`` items are looked up in
+one pass over the corpus with one broadcast index (under 70 MB); a larger set is taken in slices of that size, a pass for each, so that
+neither the driver nor a task ever holds more. Equal windows of several items are looked up once.
 
 Defined results: null or empty texts and texts of fewer words than a window match nothing; an item given twice is reported once per id;
 repeated documents are reported once per id; other columns are not read.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .forms import WORD, one_form
 
 WORDS, RADIUS = 12, 2
-SLICE = 2_000
+#: Most items of an index: at about 70 windows each, under 70 MB.
+SLICE = 10_000
 #: Words that are fingerprinted at once.
 CHUNK = 20_000
 
@@ -73,41 +75,60 @@ def blocks(radius: int) -> list[tuple[np.uint64, np.uint64]]:
 
 
 class Index:
-    """The windows of a slice of evaluation texts, looked up by blocks of their fingerprints."""
+    """The windows of evaluation texts, each different one once, looked up by blocks of their fingerprints.
+
+    The shingles of all texts lie end to end; a window is the place where it begins, so an index takes about 60 bytes a window.
+    """
 
     def __init__(self, items: list[tuple[str, str, str | None]], words: int = WORDS, radius: int = RADIUS):
-        self.words, self.radius, cache = words, radius, _Hashes()
+        self.words, self.radius, cache, width = words, radius, _Hashes(), words - 1
         self.owners: list[tuple[str, str]] = []
-        of, prints, rows = [], [], []
+        texts, prints = [], []
         for key, field, text in items:
             h = word_hashes(text or "", cache)
             if len(h) >= words:
-                s = shingles(h)
-                f = simhashes(s, words - 1)
-                of += [len(self.owners)] * len(f)
-                prints.append(f)
-                rows.append(np.lib.stride_tricks.sliding_window_view(s, words - 1))
+                texts.append(shingles(h))
+                prints.append(simhashes(texts[-1], width))
                 self.owners.append((key, field))
-        self.of = np.array(of, np.int64)
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.rows = np.concatenate(rows) if rows else np.zeros((0, words - 1), np.uint64)
-        known, place, count = np.unique(self.rows, return_inverse=True, return_counts=True)
-        self.weights = (1 / count)[place].reshape(self.rows.shape)
-        self.totals = self.weights.sum(1)
-        self.of_weight = np.bincount(self.of, self.totals, len(self.owners)) if len(self.of) else np.zeros(0)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begins, counts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64), sizes - width + 1
+        self.flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        starts = np.concatenate([b + np.arange(n) for b, n in zip(begins, counts)]) if texts else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(texts)), counts)
+        # A shingle weighs the more, the fewer windows hold it: each place lies in as many windows of its text as reach over it.
+        at = np.arange(len(self.flat)) - np.repeat(begins, sizes)
+        covering = np.minimum(np.minimum(at + 1, np.repeat(sizes, sizes) - at), np.minimum(width, np.repeat(counts, sizes)))
+        _, place = np.unique(self.flat, return_inverse=True)
+        self.weights = (1 / np.bincount(place, covering))[place] if texts else np.zeros(0)
+        sums = np.concatenate([[0.0], np.cumsum(self.weights)])
+        totals = sums[starts + width] - sums[starts]
+        self.of_weight = np.bincount(of, totals, len(texts)) if texts else np.zeros(0)
+        # Equal windows are one window with several owners.
+        with np.errstate(over="ignore"):
+            same = np.zeros(len(starts), np.uint64)
+            for k in range(width):
+                same = same * np.uint64(0x9E3779B97F4A7C15) + self.flat[starts + k]
+        _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        self.own_edges, self.own = np.searchsorted(inverse[order], np.arange(len(first) + 1)), of[order].astype(np.int32)
+        self.starts, self.totals = starts[first], totals[first]
+        self.prints = (np.concatenate(prints) if prints else np.zeros(0, np.uint64))[first]
         self.tables = []
         for shift, mask in blocks(radius):
             part = self.prints >> shift & mask
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part, kind="stable").astype(np.int32)
             there = np.zeros(int(mask) + 1, bool)
             there[part.astype(np.int64)] = True
-            self.tables.append((shift, mask, there, part[order], order))
+            self.tables.append((shift, mask, there, part[order].astype(np.uint32), order))
+
+    def owners_of(self, window: int) -> list[int]:
+        return self.own[self.own_edges[window] : self.own_edges[window + 1]].tolist()
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (place in ``prints``, window of the index) within the radius, each once."""
         left, right = [], []
         for shift, mask, there, sorted_part, order in self.tables:
-            part = prints >> shift & mask
+            part = (prints >> shift & mask).astype(np.uint32)
             hit = np.flatnonzero(there[part.astype(np.int64)])
             a, b = np.searchsorted(sorted_part, part[hit], "left"), np.searchsorted(sorted_part, part[hit], "right")
             n = b - a
@@ -125,8 +146,9 @@ class Index:
         if len(s) < width or not len(self.prints):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         l, r = self.near(simhashes(s, width))
-        same = s[l[:, None] + np.arange(width)] == self.rows[r]
-        good = (same * self.weights[r]).sum(1) >= (least - 1e-9) * self.totals[r]
+        place = self.starts[r][:, None] + np.arange(width)
+        same = s[l[:, None] + np.arange(width)] == self.flat[place]
+        good = (same * self.weights[place]).sum(1) >= (least - 1e-9) * self.totals[r]
         return l[good], r[good]
 
 
@@ -147,8 +169,9 @@ def matches(ids: list, texts: list[str | None], index: Index, least: float) -> I
             l = l + a
             own = np.searchsorted(edges, l, "right") - 1
             inside = l + index.words <= edges[own + 1]
-            for o, w in zip(own[inside].tolist(), r[inside].tolist()):
-                hits.setdefault((o, int(index.of[w])), set()).add(w)
+            for o, w in set(zip(own[inside].tolist(), r[inside].tolist())):
+                for item in index.owners_of(w):
+                    hits.setdefault((o, item), set()).add(w)
         for (o, item), windows in hits.items():
             at = np.fromiter(windows, np.int64)
             yield hold[o][0], *index.owners[item], len(windows), float(index.totals[at].sum()), float(index.of_weight[item])
