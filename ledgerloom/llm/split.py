@@ -93,7 +93,8 @@ def pieces_of(ids: list, texts: list[str], max_tokens: int, overlap: int, with_t
         m, marks = len(ends[i]), set(natural.tolist())
         for k, e in enumerate(ends[i].tolist()):
             s = 0 if k == 0 else int(ends[i][k - 1]) - overlap
-            a, b = (0 if k == 0 else int(begins[s])), (len(text) if k == m - 1 else int(stops[e - 1]))
+            # Without an overlap the white space between two pieces belongs to the later one.
+            a, b = (0 if k == 0 else int(begins[s]) if overlap else int(stops[s - 1])), (len(text) if k == m - 1 else int(stops[e - 1]))
             yield key, k + 1, m, len(begins), s, e, e in marks or k == m - 1, text[a:b] if with_text else None
 
 

@@ -114,3 +114,9 @@ def test_look_alikes_of_many_scripts_beside_latin_letters():
         assert forms.one_form(text) == form and forms.is_disguised(text)
     for text in ("γ-globulin", "Рукюфю", "Σίσυφος", "ᎪᎳᎩ"):
         assert not forms.is_disguised(text)
+
+
+def test_pieces_without_overlap_make_up_the_text():
+    text = "  One two. Three four five!\n\nSix  seven eight nine ten. Eleven twelve. "
+    got = [r[-1] for r in split.pieces_of(["k"], [text], 4, 0)]
+    assert "".join(got) == text and len(got) > 2 and all(len(split.TOKEN.findall(x)) <= 4 for x in got)
