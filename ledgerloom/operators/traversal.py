@@ -43,7 +43,7 @@ def ring_neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFra
 
 
 def eccentricity(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> int:
-    """The depth of the deepest level that an undirected search from the seeds reaches."""
+    """The depth of the deepest level that an undirected search from the seeds reaches (I7); an error if it goes deeper than ``most``."""
     over = written(symmetric(edges).select("src", "dst").distinct(), "sym")
     seen = frontier = seeds.select("id").distinct()
     for depth in range(most):
@@ -52,7 +52,7 @@ def eccentricity(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> int:
         if frontier.isEmpty():
             return depth
         seen = written(seen.unionByName(frontier), "seen")
-    return most
+    raise ValueError(f"the search goes deeper than {most} levels")
 
 
 def two_hop_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -92,10 +92,13 @@ def without_self_loops(edges: DataFrame) -> DataFrame:
 def trimmed(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
     """Nodes by (depth, id) up to a number, and edges between them up to a number, those at a seed first (F8)."""
     kept = nodes.orderBy("depth", "id").limit(most_nodes)
-    seeds = kept.where("depth = 0").select(F.col("id").alias("s")).withColumn("seed", F.lit(0))
+    seeds = kept.where("depth = 0").select("id").limit(most_nodes)
     inside = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
-    at = inside.join(F.broadcast(seeds.limit(most_nodes)), (F.col("src") == F.col("s")) | (F.col("dst") == F.col("s")), "left")
-    ranked = at.groupBy("src", "dst", "rel").agg(F.min(F.coalesce("seed", F.lit(1))).alias("p"))
+    at = inside
+    for end in ("src", "dst"):
+        at = at.join(F.broadcast(seeds.select(F.col("id").alias(f"{end}_seed"))), F.col(end) == F.col(f"{end}_seed"), "left")
+    at_seed = F.col("src_seed").isNotNull() | F.col("dst_seed").isNotNull()
+    ranked = at.groupBy("src", "dst", "rel").agg(F.min(F.when(at_seed, 0).otherwise(1)).alias("p"))
     return kept, ranked.orderBy("p", "src", "dst", "rel").limit(most_edges).drop("p")
 
 
